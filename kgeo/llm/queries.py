@@ -1,10 +1,15 @@
 """The subpackage's queries and, where SQL expresses them, their DuckDB SQL."""
 
+from kgeo.llm.ann import op8_learned_partitions
 from kgeo.llm.bpe import op4_byte_bpe
+from kgeo.llm.cap_join import op9_cap_filters
 from kgeo.llm.chat import op5_chat_format
+from kgeo.llm.language import op2_language_id
+from kgeo.llm.minhash import op1_minhash_near_dedup
 from kgeo.llm.packing import op7_packing
 from kgeo.llm.token_records import op3_token_records
+from kgeo.llm.url_filter import op10_url_filter
 
-QUERIES = {f.__name__: f for f in (op3_token_records, op4_byte_bpe, op5_chat_format, op7_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op3_token_records, op4_byte_bpe, op5_chat_format, op7_packing, op8_learned_partitions, op9_cap_filters, op10_url_filter)}
 
 ORACLE_SQL: dict[str, str] = {}
