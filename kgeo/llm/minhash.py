@@ -57,11 +57,12 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     begins = np.concatenate([[0], ends[:-1]])
     at = np.concatenate([[0], np.cumsum(sizes)])
     weight = np.add.reduceat((ends - begins)[code], at[:-1]) if n else np.zeros(0)
-    group, done = np.arange(n), np.zeros(n, bool)
-    for x in np.argsort(-weight, kind="stable").tolist():
-        biggest = np.bincount(group, minlength=n).argmax()
-        if group[x] == biggest and (group == biggest).sum() > 1:
-            continue
+    group, done, order = np.arange(n), np.zeros(n, bool), np.argsort(-weight, kind="stable")
+    while True:
+        waiting = order[~done[order] & (group[order] != np.bincount(group).argmax())]
+        if not len(waiting):
+            break
+        x = waiting[0]
         own = code[at[x] : at[x + 1]]
         shared = np.bincount(np.concatenate([holders[b:e] for b, e in zip(begins[own], ends[own], strict=True)]), minlength=n)
         hits = np.flatnonzero(100 * shared >= percent * (sizes + sizes[x] - shared))
@@ -71,9 +72,6 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     first = {}
     for i, g in enumerate(group.tolist()):
         first.setdefault(g, []).append(i)
-    biggest = max(first.values(), key=len, default=[])
-    inside = set(biggest)
-    assert all(done[i] or i in inside for i in range(n))
     return [(g[0], i) for g in first.values() for i in g[1:]]
 
 
