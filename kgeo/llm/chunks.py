@@ -1,37 +1,40 @@
 """Token ids of whole texts from the tokenizers library, each distinct stretch of text encoded once per worker.
 
 A text is cut where no pre-token of the tokenizer can lie on both sides, so the ids of the stretches, joined, are
-the ids of the text. The library encodes every stretch itself; only repeats come from memory."""
+the ids of the text. The library encodes every stretch itself; only repeats come from memory.
+
+For a tokenizer that drops white space and lower-cases, a stretch is a run between ASCII white space, with A-Z lowered. For a
+byte-level one that keeps white space, it is a run of white space with the run of other characters after it."""
 
-import itertools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 
+from kgeo.llm.shingles import lowered, run_hashes, word_spans
+
 #: Unicode white space, for a character class.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Letters for which splitting before ASCII punctuation (without the apostrophe, which may begin a contraction) is safe.
-LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-POINTS = r"!-&(-/:-@\[-`{-~"
-
-_UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: ASCII marks that are cut off the end of a stretch where a letter stands before them. No apostrophe: it may begin a contraction.
+MARKS = b".,;:!?"
 
-
-def dropped_space_stretches(text: str) -> list:
-    """For tokenizers that drop white space and lower-case: runs between ASCII white space, A-Z lowered."""
-    return text.encode().translate(_UPPER).split()
+_KEPT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
+_WIDE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-_KEPT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-_UNEVEN = re.compile(r"[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n][ \n]|^[ \n]|[ \n]\Z")
+def _even(text: str) -> bool:
+    """Whether the white space of ``text`` (not empty) is single spaces and line ends between other characters."""
+    if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")):
+        return False
+    return text.isascii() or not _WIDE.search(text)
 
 
 def kept_space_stretches(text: str) -> list:
     """For byte-level tokenizers that keep white space: a run of white space with the run of other characters after it.
 
     Where spaces and line ends come singly, a stretch is given as bytes without the space before it (see ``stretch_text``)."""
-    if not text or _UNEVEN.search(text):
+    if not text or not _even(text):
         return _KEPT.findall(text)
     first, *rest = text.encode().replace(b"\n", b" \n").split(b" ")
     return [first.decode(), *rest]
@@ -43,43 +46,102 @@ def stretch_text(x: str | bytes, keeps_space: bool) -> str:
     return x.decode() if not keeps_space or x[:1] == b"\n" else " " + x.decode()
 
 
-_PIECES = re.compile(f"( ?[{LETTERS}]+)([{POINTS}]+)")
+class Recent:
+    """A bounded memory of two generations: when the young one is full, the old one is forgotten; what is asked for again stays."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def age(self) -> None:
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+
+    def absent(self, keys: set) -> set:
+        """The keys that are unknown; all others are in ``young`` afterwards."""
+        left = keys.difference(self.young)
+        if self.old and left:
+            again = left.intersection(self.old)
+            old = self.old
+            self.young.update({k: old[k] for k in again})
+            left -= again
+        return left
 
 
 class StretchEncoder:
-    """``encode`` gives each text's ids as little-endian bytes of ``dtype``. Memory is bounded by ``limit`` stretches."""
+    """``encode`` gives each text's ids as little-endian bytes of ``dtype``. Memory is bounded by ``limit`` stretches, twice."""
 
-    def __init__(self, path: str, keeps_space: bool, limit: int = 600_000):
+    def __init__(self, path: str, keeps_space: bool, limit: int = 350_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # the strings of special tokens are ordinary text in a document
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.keeps_space, self.limit = keeps_space, limit
-        self.stretches = kept_space_stretches if keeps_space else dropped_space_stretches
-        self.known: dict[str | bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.keeps_space = keeps_space
+        self.known = Recent(limit)
 
     def _learn(self, missing: set) -> None:
-        split = {x: m.groups() if (m := _PIECES.fullmatch(t := stretch_text(x, self.keeps_space))) else (t,) for x in missing}
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
-        new = list({p for parts in split.values() for p in parts}.difference(self.pieces))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for x, e in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
-                self.pieces[x] = np.array(e.ids, self.dtype).tobytes()
-        for x, parts in split.items():
-            self.known[x] = b"".join(self.pieces[p] for p in parts)
+        ends, parts, alone = {}, set(), []
+        for x in missing:
+            if isinstance(x, bytes) and x[-1] < 64:
+                y = x.rstrip(MARKS)
+                if len(y) < len(x) and (y[-1:].isalpha() or (y[-2:-1] == b"\xc3" and y[-1] not in b"\x97\xb7")):
+                    tail = x[len(y) :].decode()
+                    ends[x] = (y, tail)
+                    parts.add(y)
+                    parts.add(tail)
+                    continue
+            alone.append(x)
+        alone += self.known.absent(parts.difference(alone)) if parts else ()
+        known, code = self.known.young, self.code
+        for at in range(0, len(alone), 4096):
+            part = alone[at : at + 4096]
+            found = self.library.encode_batch_fast([stretch_text(x, self.keeps_space) for x in part], add_special_tokens=False)
+            known.update(zip(part, [array(code, e.ids).tobytes() for e in found], strict=True))
+        for x, (y, tail) in ends.items():
+            known[x] = known[y] + known[tail]
+
+    def _values(self, keys: list) -> list[bytes]:
+        self.known.age()
+        if missing := self.known.absent({*keys}):
+            self._learn(missing)
+        return [*map(self.known.young.__getitem__, keys)]
+
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        """Texts that are cut at every gap: each distinct stretch of them all is looked up once."""
+        raw = b" ".join([*texts, b""])
+        data = np.frombuffer(raw, np.uint8)
+        limits = np.cumsum([0, *(len(x) + 1 for x in texts)])
+        if self.keeps_space:
+            space, line = data == 32, data == 10
+            before = np.concatenate([[True], space[:-1]])
+            starts, ends = np.flatnonzero(~space & (before | line)), np.flatnonzero(~before & (space | line))
+        else:
+            data = lowered(data)
+            raw = data.tobytes()
+            starts, ends = word_spans(data)
+        place = np.searchsorted(starts, limits)
+        hashed = run_hashes(data, starts, ends)
+        if self.keeps_space:
+            hashed[place[:-1]] ^= np.uint64(0x5BD1E9955BD1E995)  # no space before a text's first stretch
+        _, one, of = np.unique(hashed, return_index=True, return_inverse=True)
+        keys: list = [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+        if self.keeps_space:
+            for k in np.flatnonzero(np.isin(one, place[:-1])).tolist():
+                keys[k] = keys[k].decode()
+        values = self._values(keys)
+        sizes = np.array([*map(len, values)], np.int64) // self.dtype.itemsize
+        pool, at = np.frombuffer(b"".join(values), self.dtype), np.cumsum(sizes) - sizes
+        n = sizes[of]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.repeat(at[of] - ends[:-1], n) + np.arange(ends[-1])]
+        cuts = ends[place].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.stretches(x) for x in texts]
-        if len(self.known) > self.limit:
-            self.known = {}
-        if missing := set(itertools.chain.from_iterable(cut)).difference(self.known):
-            self._learn(missing)
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+        plain = [not self.keeps_space or x != "" and _even(x) for x in texts]
+        done = iter(self._plain([x.encode() for x, p in zip(texts, plain, strict=True) if p]) if any(plain) else ())
+        return [next(done) if p else b"".join(self._values(_KEPT.findall(x))) for x, p in zip(texts, plain, strict=True)]
 
 
 def slices(texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:

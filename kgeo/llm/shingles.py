@@ -33,20 +33,30 @@ class _Powers:
         return cls.up, cls.down
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of bytes, by differences of one running polynomial sum."""
+    up, down = _Powers.of(len(data) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in bytes that end with a gap."""
+    gap = np.concatenate([[True], _GAP[data]])
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    return edge[::2], edge[1::2]
+
+
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of ``texts`` (A-Z lowered), and each text's number of words."""
-    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    gap = _GAP[data]
-    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-    starts = edge[~gap[edge]] if gap[0] else np.concatenate([[0], edge[~gap[edge]]])
-    ends = edge[gap[edge]]
-    up, down = _Powers.of(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[_LOWER[data]] * up[: len(data)], dtype=np.uint64)])
-    hashed = mix((sums[ends] - sums[starts]) * down[starts])
-    limits = np.cumsum([len(x) + 1 for x in texts])
-    return hashed, np.diff(np.searchsorted(starts, np.concatenate([[0], limits])))
+    data = lowered(np.frombuffer(b" ".join([*texts, b""]), np.uint8))
+    starts, ends = word_spans(data)
+    limits = np.cumsum([0, *(len(x) + 1 for x in texts)])
+    return run_hashes(data, starts, ends), np.diff(np.searchsorted(starts, limits))
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
