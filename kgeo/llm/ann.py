@@ -16,12 +16,13 @@ from kgeo.llm.storage import materialize, width
 from kgeo.llm.vectors import distinct_vectors, fixed, numbers
 
 
-def neighbours(m: np.ndarray, k: int) -> np.ndarray:
-    """Row numbers of the ``k`` largest inner products of each row, itself left out."""
-    out = []
-    for lo in range(0, len(m), 512):
-        s = m[lo : lo + 512] @ m.T
-        s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -np.inf
+def neighbours(m: np.ndarray, k: int, rows: np.ndarray | None = None) -> np.ndarray:
+    """Row numbers of the ``k`` largest inner products of each row (or of those in ``rows``), itself left out."""
+    out, rows = [], np.arange(len(m)) if rows is None else rows
+    for lo in range(0, len(rows), 128):
+        at = rows[lo : lo + 128]
+        s = m[at] @ m.T
+        s[np.arange(len(s)), at] = -np.inf
         out.append(np.argpartition(-s, min(k, len(m) - 1) - 1, axis=1)[:, :k])
     return np.concatenate(out)
 
@@ -129,16 +130,14 @@ def fit_index(sample: np.ndarray, part_rows: int = 256, max_parts: int = 32, gra
     index.router.fit(sample, part)
     asked = np.random.default_rng(seed).permutation(len(sample))[:512]
     own, routes = index.ranked(sample, 1)[:, 0], index.ranked(sample[asked], 1 << levels)
-    s = sample[asked] @ sample.T
-    s[np.arange(len(asked)), asked] = -np.inf
-    true = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    true = neighbours(sample, k, asked)
     place = np.argsort(routes, axis=1)  # when a query comes to each part
     when = np.take_along_axis(place, own[true], axis=1)
     index.probes = next(t for t in range(1, (1 << levels) + 1) if (when < t).mean() >= recall)
     return index
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample_rows: int = 8192, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 9, **settings) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample_rows: int = 4096, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 9, **settings) -> DataFrame:
     """The ``k`` nearest rows of ``vectors`` found for each row of ``queries``: query_id, rank, vec_id, score.
 
     Nearness is the inner product in double precision; ties go to the smaller vec_id; a query's own vec_id is no candidate.
