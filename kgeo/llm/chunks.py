@@ -70,7 +70,7 @@ class Recent:
 class StretchEncoder:
     """``encode`` gives each text's ids as little-endian bytes of ``dtype``. Memory is bounded by ``limit`` stretches, twice."""
 
-    def __init__(self, path: str, keeps_space: bool, limit: int = 350_000):
+    def __init__(self, path: str, keeps_space: bool, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -144,7 +144,7 @@ class StretchEncoder:
         return [next(done) if p else b"".join(self._values(_KEPT.findall(x))) for x, p in zip(texts, plain, strict=True)]
 
 
-def slices(texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], chars: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``chars`` characters each, so that a batch of long texts is cut up piecemeal."""
     start = size = 0
     for i, x in enumerate(texts):
