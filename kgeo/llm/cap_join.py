@@ -17,6 +17,9 @@ from kgeo.llm.graph import by_group, connected_components, forest, pair_blocks
 from kgeo.llm.storage import materialize
 from kgeo.llm.vectors import distinct_vectors, fixed, numbers
 
+#: Vectors of fewer dimensions get fewer codewords and a nearer reach.
+LOW = 64
+
 
 class ProductCode:
     """``codewords`` ** 2 directions for vectors of ``dim``; a unit vector belongs to those whose inner product with it is at
@@ -24,17 +27,22 @@ class ProductCode:
 
     def __init__(self, dim: int, codewords: int, reach: float, seed: int):
         rng = np.random.default_rng([seed, dim])
-        self.n, self.reach = codewords, reach
+        self.n, self.reach = min(codewords, 1 << (dim // 2 + 2)), reach
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.cuts = [c for c in np.array_split(np.arange(dim), 2) if len(c)]
-        self.books = [b / np.linalg.norm(b, axis=0) * np.sqrt(dim / len(self.cuts)) for b in (rng.standard_normal((len(c), codewords)) for c in self.cuts)]
+        self.books = [b / np.linalg.norm(b, axis=0) * np.sqrt(dim / len(self.cuts)) for b in (rng.standard_normal((len(c), self.n)) for c in self.cuts)]
+        if dim < LOW:  # no inner product is over the square root of the dimension: ask what all of some random vectors reach
+            x = rng.standard_normal((256, dim))
+            near = [(x / np.linalg.norm(x, axis=1, keepdims=True))[:, c] @ b for c, b in zip(self.cuts, self.books, strict=True)]
+            every = (near[0][:64, :, None] + near[1][:64, None, :]).ravel() if len(near) > 1 else near[0].ravel()
+            self.reach = min(reach, max(0.85 * float(sum(n.max(1) for n in near).min()), float(np.quantile(every, max(0.0, 1 - 40 / self.n**2)))))
 
     def filters(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and filter numbers, of all filters of all rows of unit vectors. A single dimension has its codewords as filters."""
         turned = units @ self.turn
         near = [turned[:, c] @ b for c, b in zip(self.cuts, self.books, strict=True)]
         if len(near) == 1:
-            return np.nonzero(near[0] >= 0)
+            return np.nonzero(near[0] > 0)
         row, a = np.nonzero(near[0] >= self.reach - near[1].max(1, keepdims=True))
         rows, keys = [np.zeros(0, int)], [np.zeros(0, int)]
         for lo in range(0, len(row), 4096):
