@@ -38,7 +38,7 @@ def hilbert_keys(unit: np.ndarray, kind: int = COMPOSITION, bits: int = 32) -> l
     cells = (np.clip(unit, 0.0, 1.0) * float((1 << bits) - 1)).astype(np.uint64)
     words = hilbert_words(cells, bits)
     planes = ((words[:, None, :] >> np.arange(bits - 1, -1, -1, dtype=np.uint64)[None, :, None]) & np.uint64(1)).astype(np.uint8)
-    packed = np.packbits(planes.reshape(len(unit), -1), axis=1)
+    packed = np.packbits(planes.reshape(len(unit), bits * unit.shape[1]), axis=1)
     packed[:, -1] = (packed[:, -1] & 0xFC) | kind
     return [x.tobytes() for x in packed]
 

@@ -51,7 +51,7 @@ def wordnet(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).filter(F.col("value").rlike("^[0-9]{8} "))
     f = F.split(F.regexp_extract("value", r"^([^|]*)", 1), " ")
     n = F.conv(F.get(f, F.lit(3)), 16, 10).cast("int")
-    p = F.expr("try_cast(element_at(f, 5 + 2 * n) AS INT)")
+    p = F.expr("try_cast(get(f, 4 + 2 * n) AS INT)")
     pos = lambda c: F.when(c == "s", "a").otherwise(c)
     return (lines.select(f.alias("f"), n.alias("n"), F.trim(F.regexp_extract("value", r"\|(.*)$", 1)).alias("gloss")).withColumn("p", p)
         .select(F.get("f", F.lit(0)).alias("offset"), pos(F.get("f", F.lit(2))).alias("pos"), F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.regexp_replace(F.get("f", 4 + 2 * i), "_", " ")).alias("lemmas"), "gloss",
