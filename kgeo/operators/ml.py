@@ -73,7 +73,7 @@ def eigenmap(edges: DataFrame, limit: int = 5000) -> DataFrame:
     """Nodes of a neighbour graph (src, dst, sim) on the 3-sphere: the four eigenvectors of the normalised Laplacian after the
     trivial one, made orthonormal, rows to length one: id, x, y, z, w.
 
-    The dense solver takes graphs of up to ``limit`` nodes, which are checked; larger graphs are refused."""
+    The dense solver takes graphs of up to ``limit`` nodes, which are checked; larger graphs are refused: ``eigenmap_sparse`` takes them."""
     nodes = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
     if (n := nodes.count()) > limit:
         raise ValueError(f"{n} nodes are more than the {limit} the dense solver takes")
@@ -89,6 +89,86 @@ def eigenmap(edges: DataFrame, limit: int = 5000) -> DataFrame:
     return edges.sparkSession.createDataFrame([(x, *map(float, r)) for x, r in zip(ids, q, strict=True)], "id long, x double, y double, z double, w double")
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage: in the checkpoint folder, where one is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.localCheckpoint()
+
+
+def _gram(rows: DataFrame, a: str, b: str) -> np.ndarray:
+    """Sum over the rows of the outer products of two array columns; one matrix a task comes to the driver."""
+
+    def run(batches):
+        total = 0
+        for p in batches:
+            if len(p):
+                total = total + np.stack(p["a"].to_numpy()).T @ np.stack(p["b"].to_numpy())
+        if not np.isscalar(total):
+            yield pd.DataFrame({"n": [len(total)], "m": [total.ravel()]})
+
+    parts = rows.select(F.col(a).alias("a"), F.col(b).alias("b")).mapInPandas(run, "n int, m array<double>").collect()
+    return sum(np.array(r.m).reshape(r.n, -1) for r in parts)
+
+
+def eigenmap_sparse(edges: DataFrame, block: int = 8, steps: int = 40, tolerance: float = 1e-5) -> DataFrame:
+    """As ``eigenmap``, for graphs of any size: block Lanczos on the edge table, all vectors kept orthogonal.
+
+    A step is a join of the edges with the last ``block`` vectors; the driver holds a matrix of block * steps columns at most.
+    It ends when the five leading eigenvectors are left with residuals of up to ``tolerance``, and fails if ``steps`` do not do."""
+    pair = edges.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.exp(-F.pow(1 - F.max("sim"), 2)).alias("w"))
+    both = _cut(pair.unionByName(pair.filter("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "w")))
+    degree = both.groupBy("u").agg(F.sqrt(F.sum("w")).alias("d"))
+    both = _cut(both.join(degree, "u").join(degree.select(F.col("u").alias("v"), F.col("d").alias("e")), "v").select("u", "v", (F.col("w") / F.col("d") / F.col("e")).alias("w")))
+
+    def apply(rows: DataFrame, made: str, columns: str, matrix) -> DataFrame:
+        """id, basis and ``made``, that the function ``matrix`` makes of basis and ``columns``."""
+
+        def run(batches):
+            for p in batches:
+                if len(p):
+                    basis = np.stack(p["basis"].to_numpy()) if len(p["basis"].iloc[0]) else np.zeros((len(p), 0))
+                    basis, out = matrix(basis, np.stack(p[columns].to_numpy()))
+                    yield pd.DataFrame({"id": p["id"], "basis": [*basis], made: [*out]})
+
+        return rows.select("id", "basis", columns).mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, basis array<double>, {made} array<double>")
+
+    start = [F.xxhash64("u", F.lit(k)) / 2.0**63 for k in range(block)]
+    rows = _cut(degree.select(F.col("u").alias("id"), F.expr("CAST(array() AS array<double>)").alias("basis"), F.array(*start).alias("new")))
+    t, widths = np.zeros((0, 0)), []
+    for _ in range(steps + 1):
+        found = []
+        for _ in range(2):  # twice, so that rounding leaves nothing of the basis
+            if widths:
+                h = _gram(rows, "basis", "new")
+                found.append(h)
+                rows = _cut(apply(rows, "new", "new", lambda b, x, h=h: (b, x - b @ h)))
+        size, turn = np.linalg.eigh(_gram(rows, "new", "new"))
+        good = size > 1e-18 if widths else size > 1e-9 * size.max()
+        root = turn[:, good] * np.sqrt(size[good])
+        if widths:
+            h = sum(found)
+            t[:, -widths[-1] :], t[-widths[-1] :, :] = h, h.T
+            values, s = np.linalg.eigh(t)
+            leading = s[:, ::-1][:, :5]
+            if not good.any() or (len(t) >= 5 and (np.linalg.norm(root.T @ leading[-widths[-1] :], axis=0) <= tolerance).all()):
+                break
+        widths.append(int(good.sum()))
+        t = np.pad(t, (0, widths[-1]))
+        onto = turn[:, good] / np.sqrt(size[good])
+        rows = _cut(apply(rows, "last", "new", lambda b, x, onto=onto: (np.concatenate([b, x @ onto], axis=1), x @ onto)))
+        image = both.join(rows.select(F.col("id").alias("v"), "last"), "v").groupBy("u").agg(F.array(*[F.sum(F.col("w") * F.col("last")[k]) for k in range(widths[-1])]).alias("new"))
+        rows = _cut(rows.select("id", "basis").join(image, rows["id"] == image["u"]).select("id", "basis", "new"))
+    else:
+        raise RuntimeError(f"eigenvectors did not settle in {steps} steps")
+    onto = np.pad(leading[:, 1:], ((0, 0), (0, max(0, 5 - leading.shape[1]))))
+
+    def place(b: np.ndarray, _):
+        q = b @ onto
+        size = np.linalg.norm(q, axis=1, keepdims=True)
+        return b, np.where(size > 1e-12, q / np.maximum(size, 1e-12), [[1.0, 0, 0, 0]])
+
+    return apply(rows, "q", "new", place).select("id", *[F.col("q")[k].alias(c) for k, c in enumerate("xyzw")])
+
+
 def model_overlap(projections: DataFrame, radius: float | None = None) -> DataFrame:
     """``projections``: composition_id, content_id, x..w. Per composition in two contents or more: n, mean and largest geodesic
     distance of the contents' centroids; with ``radius`` only those spread that far."""

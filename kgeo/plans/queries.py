@@ -653,8 +653,9 @@ def _(m):
 
 @query("m6_eigenmap")
 def _(m):
-    v = m.table("embeddings").filter("vec_id < 500").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return ml.eigenmap(ml.embedding_edges(v, 10, 0.0))
+    v = m.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    edges = ml.embedding_edges(v, 10, 0.0)
+    return ml.eigenmap(edges) if v.count() <= 5000 else ml.eigenmap_sparse(edges)
 
 
 @query("m7_sparsity", "SELECT vec_id AS id, len(list_filter(embedding, lambda x: abs(x) >= 0.01)) AS n FROM embeddings")
