@@ -98,7 +98,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, minhashe
 
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     rows = materialize(whole.mapInArrow(sketch, "doc_id long, text_hash long, n_shingles long, digest binary, left array<long>, right array<long>"), "sketches")
-    reps = materialize(rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("_one"), F.first("n_shingles").alias("n_shingles"), F.first("left").alias("left"), F.first("right").alias("right")).select("digest", F.col("_one.doc_id").alias("rep"), F.col("_one.text_hash").alias("text_hash"), "n_shingles", "left", "right"), "distinct-sets")
+    reps = materialize(rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("_one"), F.first("n_shingles").alias("n_shingles"), F.first("left").alias("left"), F.first("right").alias("right")).select("digest", F.xxhash64("digest").alias("rep"), F.col("_one.doc_id").alias("doc_id"), F.col("_one.text_hash").alias("text_hash"), "n_shingles", "left", "right"), "distinct-sets")  # rep names the set: an id may have several
 
     # A table can only bring documents together that share both hashes of its key with another: others need no keys.
     single = reps.select("rep", F.posexplode(F.concat("left", "right")).alias("place", "hash"))
@@ -122,12 +122,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, minhashe
         if edges:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges, strict=True)], names=["a", "b"])
 
-    members = groups.withColumnRenamed("node", "rep").join(reps.select("rep", "text_hash", (F.col("n_shingles") + 200).alias("weight")), "rep")
+    members = groups.withColumnRenamed("node", "rep").join(reps.select("rep", "doc_id", "text_hash", (F.col("n_shingles") + 200).alias("weight")), "rep")
     dealt = pair_blocks(members, "component", "rep", "weight", block_shingles)
-    texts = whole.withColumnRenamed("doc_id", "rep").join(dealt, ["rep", "text_hash"])
+    texts = whole.join(dealt, ["doc_id", "text_hash"])
     links = by_group(texts.select("component", "block_a", "block_b", "rep", "text"), "component", verify, "a long, b long")
-    classes = connected_components(links).withColumnRenamed("node", "rep")
-    by_set = reps.select("digest", "rep").join(classes, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    # From sets back to ids; an id with several sets connects them.
+    owner = reps.select("rep", "doc_id")
+    links = links.join(owner.select(F.col("rep").alias("a"), F.col("doc_id").alias("a_id")), "a").join(owner.select(F.col("rep").alias("b"), F.col("doc_id").alias("b_id")), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    several = rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).filter("least <> most").select("doc_id")
+    own = rows.select("doc_id", "digest").join(several, "doc_id").join(reps.select("digest", F.col("doc_id").alias("first")), "digest").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    classes = connected_components(links.unionByName(own)).withColumnRenamed("node", "doc_id")
+    by_set = reps.select("digest", "doc_id").join(classes, "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(by_set, "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

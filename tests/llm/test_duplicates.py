@@ -189,3 +189,11 @@ def test_filters_are_all_that_reach():
     near = [(x @ code.turn)[:, c] @ b for c, b in zip(code.cuts, code.books, strict=True)]
     want = {(r, a * code.n + b) for r in range(30) for a in range(code.n) for b in range(code.n) if near[0][r, a] + near[1][r, b] >= code.reach}
     assert {*zip(rows.tolist(), keys.tolist(), strict=True)} == want
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, a), (3, b), (7, b + " more"), (8, a), (8, "c d e f g h"), (9, "c d e f g h"), (20, "x y z u v w"), (5, a.replace("a0 ", "n0 "))]
+    for data in (rows, rows[::-1]):
+        got = minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 3, 85).collect()
+        assert {(r.doc_id, r.component_id) for r in got} == {(3, 3), (5, 3), (7, 3), (8, 3), (9, 3), (20, 20)}
