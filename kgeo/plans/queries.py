@@ -519,6 +519,11 @@ def _(m):
     return graph.relation_tree(m.sequence, m.rating.filter("relation_id <= 5").select("relation_id"), 2).select("root", "relation_id", "depth")
 
 
+@query("v6_relation_tree_all")
+def _(m):
+    return graph.relation_tree(m.sequence, m.rating.select("relation_id"), 2).select("root", "relation_id", "depth")
+
+
 @query("v8_atoms", "SELECT codepoint, ch, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(w, 6) AS w FROM atom")
 def _(m):
     return m.atom.select("codepoint", text.char(F.col("codepoint")).alias("ch"), *[r6(c).alias(c) for c in "xyzw"])
@@ -782,6 +787,11 @@ def _(m):
     return ev.contradictions(_kinds(m).filter("src <= 200"))
 
 
+@query("d10_contradictions_all")
+def _(m):
+    return ev.contradictions(_kinds(m))
+
+
 @query("d12_vote", "SELECT answer, count(*) AS votes, avg(confidence) AS confidence FROM (SELECT dst AS answer, elo AS confidence FROM edges WHERE src % 2 = 0 UNION ALL SELECT dst, elo FROM edges WHERE src % 3 = 0) GROUP BY 1")
 def _(m):
     e = graph.edges(m.sequence, m.rating)
