@@ -593,6 +593,12 @@ def _(m):
     return reasoning.solvable(m.composition, words, graph.links(m.sequence, m.rating))
 
 
+@query("l1_solvable_all")
+def _(m):
+    words = m.composition.select("id", F.explode(F.split("text", " ")).alias("text"))
+    return reasoning.solvable(m.composition, words, graph.links(m.sequence, m.rating))
+
+
 @query("l2_known_facts", f"SELECT id, text, round(mass, 6) AS mass FROM (SELECT dst AS id, max(rating * log10(observations + 1)) AS mass FROM links WHERE src = {START} AND rating > 1400 AND observations > 5 GROUP BY 1) JOIN composition USING (id) ORDER BY mass DESC, id LIMIT 20")
 def _(m):
     return reasoning.known_facts(graph.links(m.sequence, m.rating), m.composition, first_name(m)).withColumn("mass", r6("mass"))

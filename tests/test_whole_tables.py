@@ -40,3 +40,11 @@ def test_contradictions_of_all_sources(spark, tables):
     want = {(s, a, b) for s, a in elo for t, b in elo if s == t and a < b and a % 2 == b % 2 and abs(elo[s, a] - elo[s, b]) < 100}
     got = [(r.src, r.a, r.b) for r in QUERIES["d10_contradictions_all"](spark, tables).collect()]
     assert len(got) == len({*got}) and {*got} == want and any(s > 200 for s, _, _ in want)
+
+
+def test_words_of_all_compositions(spark, tables):
+    got = QUERIES["l1_solvable_all"](spark, tables).collect()
+    strong = {p for r, ps in ORDERS.items() if rating(r) > 1500 for p in ps}
+    known = {w for p in strong for w in (f"w{p}", f"w{p + 1}")}
+    assert {(r.id, r.keywords, r.known) for r in got} == {(p, 2, len({f"w{p}", f"w{p + 1}"} & known)) for p in {p for ps in ORDERS.values() for p in ps}}
+    assert any(r.known for r in got if r.id % 7)
