@@ -13,11 +13,20 @@ def ngrams(docs: DataFrame, max_n: int = 8, min_frequency: int = 2, key: str = "
     """Per document: ngram, n, freq, first, is_rle, signature of every substring of 1 to ``max_n`` characters that occurs at
     least ``min_frequency`` times, overlaps counted.
 
-    Level by level: a place is looked at again only if the shorter substring there is frequent, so rows shrink with n."""
-    chars = docs.select(key, "text", F.explode(F.when(F.length("text") > 0, F.sequence(F.lit(1), F.length("text")))).alias("pos"))
+    Level by level: a place is looked at again only if the shorter substring there is frequent, so rows shrink with n. A place
+    carries the ``max_n`` characters from it on, not its text."""
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, text in zip(batch[key], batch["text"], strict=True):
+                for lo in range(0, len(text or ""), 50_000):
+                    at = range(lo, min(lo + 50_000, len(text)))
+                    yield pd.DataFrame({key: [doc] * len(at), "pos": [i + 1 for i in at], "ahead": [text[i : i + max_n] for i in at]})
+
+    chars = docs.select(key, "text").mapInPandas(places, f"{key} {docs.schema[key].dataType.simpleString()}, pos int, ahead string")
     out = None
     for n in range(1, max_n + 1):
-        at = chars.filter(F.col("pos") <= F.length("text") - (n - 1)).withColumn("ngram", F.substring(F.col("text"), F.col("pos"), F.lit(n)))
+        at = chars.filter(F.length("ahead") >= n).withColumn("ngram", F.substring("ahead", 1, n))
         level = at.groupBy(key, "ngram").agg(F.count("*").alias("freq"), F.min("pos").alias("first")).filter(F.col("freq") >= min_frequency)
         made = level.select(key, "ngram", F.lit(n).alias("n"), "freq", (F.col("first") - 1).alias("first"))
         out = made if out is None else out.unionByName(made)

@@ -384,6 +384,11 @@ def _(m):
     return ngrams.ngrams(m.table("benchmark").select(F.col("item_id").alias("doc_id"), "text"), 4).drop("signature")
 
 
+@query("i4_character_ngrams_documents")
+def _(m):
+    return ngrams.ngrams(m.table("documents").select("doc_id", "text")).drop("signature")
+
+
 @query("i5_association", """
 p AS (SELECT token AS a, lead(token) OVER o AS b, lag(token) OVER o AS l, lead(token, 2) OVER o AS r FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 q AS (SELECT * FROM p WHERE b IS NOT NULL), t AS (SELECT count(*) AS total FROM q), f AS (SELECT a, b, count(*) AS freq FROM q GROUP BY 1, 2 HAVING count(*) >= 2),
@@ -404,6 +409,12 @@ def _(m):
     return ev.rebuild(ngrams.tile(docs, ngrams.ngrams(docs, 4).select("doc_id", "ngram"), 4))
 
 
+@query("i7_tiling_documents")
+def _(m):
+    docs = m.table("documents").select("doc_id", "text")
+    return ev.rebuild(ngrams.tile(docs, ngrams.ngrams(docs).select("doc_id", "ngram")))
+
+
 @query("i1_compositions", "SELECT token, length(token) AS length, round(a/s, 6) AS x, round(b/s, 6) AS y, round(c/s, 6) AS z, round(d/s, 6) AS w FROM (SELECT token, avg(x) AS a, avg(y) AS b, avg(z) AS c, avg(w) AS d, sqrt(avg(x)**2+avg(y)**2+avg(z)**2+avg(w)**2) AS s FROM (SELECT token, unnest(string_split(token, '')) AS ch FROM (SELECT DISTINCT token FROM words)) JOIN atom USING (ch) GROUP BY 1)")
 def _(m):
     made = ingest.compositions(m.words, ingest.atoms(m.words))

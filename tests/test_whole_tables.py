@@ -48,3 +48,17 @@ def test_words_of_all_compositions(spark, tables):
     known = {w for p in strong for w in (f"w{p}", f"w{p + 1}")}
     assert {(r.id, r.keywords, r.known) for r in got} == {(p, 2, len({f"w{p}", f"w{p + 1}"} & known)) for p in {p for ps in ORDERS.values() for p in ps}}
     assert any(r.known for r in got if r.id % 7)
+
+
+def test_repeats_of_up_to_eight_characters(spark, tables):
+    texts = {1: "abcdefghij abcdefghij é", 2: "aaaa"}
+    want = {}
+    for d, t in texts.items():
+        for n in range(1, 9):
+            for i in range(len(t) - n + 1):
+                want.setdefault((d, t[i : i + n]), []).append(i)
+    want = {(d, g, len(at), at[0]) for (d, g), at in want.items() if len(at) > 1}
+    got = QUERIES["i4_character_ngrams_documents"](spark, tables).collect()
+    assert {(r.doc_id, r.ngram, r.freq, r["first"]) for r in got} == want and max(len(g) for _, g, _, _ in want) == 8
+    rebuilt = {r.doc_id: r.text for r in QUERIES["i7_tiling_documents"](spark, tables).collect()}
+    assert {d: rebuilt[d] for d in texts} == texts
