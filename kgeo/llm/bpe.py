@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgeo.llm.chunks import kept_space_stretches, slices, stretch_text
+from kgeo.llm.chunks import Recent, Stretches, row_ranges, utf8
 
 _MASK = (1 << 64) - 1
 
@@ -66,19 +66,21 @@ class PerfectHash:
         return self.at[slot] if self.key[slot] == key else -1
 
 
-class BytePairEncoder:
-    """``ranks``: token bytes to id, all 256 single bytes among them. ``pattern`` splits a text into pre-tokens."""
+class BytePairEncoder(Stretches):
+    """``ranks``: token bytes to id, all 256 single bytes among them. ``pattern`` splits a text into pre-tokens.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 400_000):
+    What is remembered of stretches and pre-tokens is bounded by ``limit`` bytes each, twice."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 64 << 20):
         import regex
 
-        self.ranks, self.limit = ranks, limit
+        super().__init__("<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4", False, limit)
+        self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
-        self.ids = [*ranks.values()]
+        self.one = [np.array([i], self.dtype).tobytes() for i in ranks.values()]
         self.whole = PerfectHash([*ranks])
         self.split = regex.compile(pattern).findall
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.stretches: dict[str | bytes, tuple[int, ...]] = {}
+        self.words = Recent(limit)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> "BytePairEncoder":
@@ -86,7 +88,7 @@ class BytePairEncoder:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}, pattern)
 
-    def merge(self, word: bytes) -> tuple[int, ...]:
+    def merge(self, word: bytes) -> list[int]:
         """Joins the adjacent pair of lowest rank, leftmost first, until no pair is a token; n log n in the word's length."""
         n, rank = len(word), self.ranks.get
         after, before = list(range(1, n + 2)), list(range(-1, n))
@@ -111,26 +113,23 @@ class BytePairEncoder:
         while i < n:
             out.append(self.ranks[word[i : after[i]]])
             i = after[i]
-        return tuple(out)
+        return out
 
-    def word(self, text: str) -> tuple[int, ...]:
-        data = text.encode()
+    def word(self, data: bytes) -> bytes:
         at = self.whole.get(data)
-        return (self.ids[at],) if at >= 0 else self.merge(data)
+        return self.one[at] if at >= 0 else np.array(self.merge(data), self.dtype).tobytes()
+
+    def learn(self, missing: list[bytes]) -> list[bytes]:
+        """Each stretch's pre-tokens by the pattern; linear in their number, and n log n in a pre-token's length."""
+        self.words.age()
+        split = [[w.encode() for w in self.split(x.decode())] for x in missing]
+        unknown = self.words.absent([*dict.fromkeys(w for x in split for w in x)])
+        self.words.put(unknown, [*map(self.word, unknown)])
+        known = self.words.young.__getitem__
+        return [known(x[0]) if len(x) == 1 else b"".join(map(known, x)) for x in split]
 
     def encode(self, text: str) -> list[int]:
-        if len(self.stretches) > self.limit:
-            self.stretches.clear()
-            self.words.clear()
-        cut = kept_space_stretches(text)
-        for x in set(cut).difference(self.stretches):
-            ids: tuple[int, ...] = ()
-            for w in self.split(stretch_text(x, True)):
-                if w not in self.words:
-                    self.words[w] = self.word(w)
-                ids += self.words[w]
-            self.stretches[x] = ids
-        return [*itertools.chain.from_iterable(map(self.stretches.__getitem__, cut))]
+        return self.ids(pa.array([text]))[0].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -147,46 +146,51 @@ def worker_encoder(path: str, pattern: str) -> BytePairEncoder:
 
 
 def encode_column(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, ids (array of int). A null text has no ids; equal rows and null ids stay rows of their own."""
+    """Per row: doc_id, ids (array of int). Null and empty texts have no ids. Equal rows and rows with null ids stay rows of
+    their own; an empty table gives none. Texts of any length: one's ids are in memory at a time with those of others up to
+    eight million bytes of text; time grows with the length, up to n log n within one pre-token. Only the two columns are
+    read, so others may be called doc_id or ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker_encoder(path, pattern)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for lo, hi in slices(texts):
-                ids = [np.array(enc.encode(x), np.int32) for x in texts[lo:hi]]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], names=["doc_id", "ids"])
+            for lo, hi in row_ranges(utf8(batch.column(1))[1]):
+                ids, ends = enc.ids(batch.column(1).slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
 
 
 def decode_column(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per row of doc_id and ids: doc_id, data (the decoded bytes). Null ids decode to null; an unknown id raises."""
+    """Per row of doc_id and ids: doc_id, data (the decoded bytes). Null ids decode to null, no ids to no bytes; an unknown id
+    raises. Equal rows and null doc_ids stay; an empty table gives no rows; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker_encoder(path, pattern)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else enc.decode(x) for x in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "data"])
+            data = [enc.decode(x.values.to_pylist()) if x.is_valid else None for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "data"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, data binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by a space), decoded_sha256, from the encoded ids
-    and their decoding. Null text: as empty. One pass without a shuffle; a row's ids are in memory one row at a time."""
+    and their decoding. Null and empty texts: no tokens, the digests of nothing. Equal rows and null ids stay rows of their
+    own; an empty table gives none; other columns are ignored. One pass without a shuffle; long texts as in encode_column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker_encoder(path, pattern)
         decimal = {i: str(i) for i in enc.token}.__getitem__
         for batch in batches:
-            n, a, b = [], [], []
-            for x in batch.column(1):
-                ids = enc.encode(x.as_py() or "")
-                n.append(len(ids))
-                a.append(hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
-                b.append(hashlib.sha256(enc.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for lo, hi in row_ranges(utf8(batch.column(1))[1]):
+                ids, ends = enc.ids(batch.column(1).slice(lo, hi - lo))
+                a, b = [], []
+                for x, y in zip(ends[:-1], ends[1:], strict=True):
+                    own = ids[x:y].tolist()
+                    a.append(hashlib.sha256(" ".join(map(decimal, own)).encode()).hexdigest())
+                    b.append(hashlib.sha256(enc.decode(own)).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(ends)), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -8,10 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgeo.llm.chunks import encoder, slices
+from kgeo.llm.chunks import byte_column, encoder, row_ranges, utf8, with_end
 from kgeo.llm.storage import width
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+NAMES = [x.split()[0] for x in PIECES.split(", ")]
 
 
 class CapacityTree:
@@ -89,38 +90,59 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, room: int = 102
     A document is its token ids and ``end_id``; null text counts as empty. Documents are dealt to groups of about
     ``group_docs`` at random (by a hash of id and row), so no key or source makes a group large, and each group is packed
     alone. Null ids and equal rows are documents of their own. An empty table has no pieces. Extra columns are ignored.
-    ``with_ids`` adds the piece's ids as an array."""
+    Sequences that a long document fills alone are cut where it is encoded, so only their numbers and what is left of a
+    document, under ``room`` ids, go to its group: a document of any length costs its group little. ``with_ids`` adds the
+    piece's ids as an array."""
     groups = max(1, -(-docs.count() // group_docs))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, keeps_space)
-        end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            texts = [x or "" for x in batch.column(2).to_pylist()]
-            for lo, hi in slices(texts, 1 << 22):
-                part = [x + end for a, b in slices(texts[lo:hi]) for x in enc.encode(texts[lo + a : lo + b])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(part, pa.binary())], names=["part", "doc_id", "ids"])
+            for lo, hi in row_ranges(utf8(batch.column(2))[1]):
+                ids, ends = with_end(*enc.ids(batch.column(2).slice(lo, hi - lo)), end_id)
+                n, wide = np.diff(ends), ids.astype("<u4")
+                pieces = -(-n // room)
+                row = np.repeat(np.arange(hi - lo), pieces)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * room
+                length = np.minimum(n[row] - start, room)
+                at = ends[row] + start
+                full = length == room
+                crc = [zlib.crc32(wide[a:b]) if f else None for a, b, f in zip(at.tolist(), (at + length).tolist(), full.tolist(), strict=True)]
+                held = byte_column(ids[np.repeat(~full | with_ids, length)], np.concatenate([[0], np.cumsum(np.where(~full | with_ids, length, 0))]) * enc.dtype.itemsize)
+                of = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(of), batch.column(1).slice(lo, hi - lo).take(of), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(n[row]), held], names=["part", *NAMES[:5], "ids"])
 
     def one_group(table: pa.Table) -> pa.Table:
         dtype, part = encoder(tokenizer, keeps_space).dtype, table["part"][0].as_py()
-        order = np.lexsort([table["doc_id"].fill_null(-1).to_numpy()])
-        table = table.take(pa.array(order))
-        doc_ids, ids = table["doc_id"].to_pylist(), [np.frombuffer(x.as_buffer(), dtype) for x in table["ids"]]
-        cols: list[list] = [[] for _ in range(8)]
-        for k, pieces in enumerate(pack([*map(len, ids)], room)):
-            at = 0
-            for item, start, n in pieces:
-                own = ids[item][start : start + n].astype("<u4")
-                for c, v in zip(cols, (doc_ids[item], start, n, zlib.crc32(own.tobytes()), len(ids[item]), (part << 32) + k, at, own if with_ids else None), strict=True):
-                    c.append(v)
-                at += n
-        names = [x.split()[0] for x in PIECES.split(", ")]
-        out = pa.table([pa.array(c, pa.int64()) for c in cols[:7]], names=names)
-        return out.append_column("ids", pa.array(cols[7], pa.list_(pa.int64()))) if with_ids else out
+        table = table.sort_by([(c, "ascending") for c in (*NAMES[:5], "ids")])  # equal rows in any order give equal pieces
+        own = {c: table[c].to_numpy() for c in ("start", "length", "doc_tokens")}
+        full = np.flatnonzero(own["length"] == room)
+        rests = np.flatnonzero(own["length"] < room)
+        ids = [np.frombuffer(x.as_buffer(), dtype).astype("<u4") for x in table["ids"].take(pa.array(rests)).combine_chunks()]
+        placed = [(i, s, n, k, at) for k, b in enumerate(pack([*map(len, ids)], room), len(full)) for at, (i, s, n) in _offsets(b)]
+        item, start, length, k, at = np.array(placed, np.int64).reshape(-1, 5).T
+        crc = np.array([zlib.crc32(ids[i][s : s + n]) for i, s, n, _, _ in placed], np.int64)
+        both = lambda a, b: pa.array(np.concatenate([a, b]).astype(np.int64))
+        row = rests[item]
+        doc_id = table["doc_id"].combine_chunks().take(pa.array(np.concatenate([full, row])))
+        cols = [doc_id, both(own["start"][full], own["start"][row] + start), both(own["length"][full], length), both(table["ids_crc32"].to_numpy()[full], crc), both(own["doc_tokens"][full], own["doc_tokens"][row]), both((part << 32) + np.arange(len(full)), (part << 32) + k), both(np.zeros(len(full)), at)]
+        out = pa.table(cols, names=NAMES)
+        if not with_ids:
+            return out
+        whole = [np.frombuffer(x.as_buffer(), dtype).tolist() for x in table["ids"].take(pa.array(full)).combine_chunks()]
+        return out.append_column("ids", pa.array([*whole, *(ids[i][s : s + n].tolist() for i, s, n, _, _ in placed)], pa.list_(pa.int64())))
 
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)).alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = dealt.mapInArrow(tokens, "part long, doc_id long, ids binary")
-    return encoded.repartition(min(groups, max(width(docs.sparkSession), 2)), "part").groupBy("part").applyInArrow(one_group, PIECES + (", ids array<long>" if with_ids else ""))
+    encoded = dealt.mapInArrow(tokens, "part long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    return encoded.repartition(max(min(groups, 2 * width(docs.sparkSession)), 2), "part").groupBy("part").applyInArrow(one_group, PIECES + (", ids array<long>" if with_ids else ""))
+
+
+def _offsets(pieces: list[tuple[int, int, int]]) -> Iterator[tuple[int, tuple[int, int, int]]]:
+    """Where each piece of a sequence begins in it."""
+    at = 0
+    for x in pieces:
+        yield at, x
+        at += x[2]
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgeo.llm.chunks import encoder, slices
+from kgeo.llm.chunks import encoder, row_ranges, utf8, with_end
 from kgeo.llm.storage import fresh_dir, width
 
 INDEX = np.dtype([("doc_id", "<i8"), ("no_id", "u1"), ("offset", "<u8"), ("n_tokens", "<u8")])
@@ -28,9 +28,10 @@ def masked(data: bytes) -> int:
     return (((c >> 15) | (c << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def frame(payload: bytes) -> bytes:
+def frame(payload: bytes | memoryview) -> tuple:
+    """The record's pieces, in order."""
     head = len(payload).to_bytes(8, "little")
-    return head + masked(head).to_bytes(4, "little") + payload + masked(payload).to_bytes(4, "little")
+    return head, masked(head).to_bytes(4, "little"), payload, masked(payload).to_bytes(4, "little")
 
 
 def unframe(data: memoryview, offset: int) -> tuple[memoryview, int]:
@@ -56,30 +57,32 @@ def write_token_records(docs: DataFrame, out_dir: str, tokenizer: str, end_id: i
     """Encode ``docs`` and write them to ``out_dir`` in ascending id order; returns the manifest (MANIFEST), also written there.
 
     Null texts are empty: their record holds the end id alone. Rows with a null id come first and keep a null id.
-    Rows with equal ids are all written, ordered by text. An empty table gives no shard. Other columns are ignored."""
+    Rows with equal ids are all written, ordered by text. An empty table gives no shard. Other columns are ignored. A text of any
+    length is one record; a worker holds it and its ids, with others up to eight million bytes of text."""
     spark = docs.sparkSession
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard, enc, stem = TaskContext.get().partitionId(), encoder(tokenizer, keeps_space), uuid.uuid4().hex
-        end, out, index, at, total = np.array([end_id], enc.dtype).tobytes(), None, [], 0, 0
+        out, index, at, total = None, [], 0, 0
         store, root = filesystem(out_dir)
         name = f"shard-{shard:06d}-{stem}"
         for batch in batches:
-            ids, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
-            if out is None and texts:
+            ids, texts = batch.column(0), batch.column(1)
+            if out is None and len(texts):
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(f"{root}/{name}.rec")
             n = np.empty(len(texts), np.int64)
             offset = np.empty(len(texts), np.int64)
-            for lo, hi in slices(texts):
-                framed = []
-                for i, tokens in enumerate(enc.encode(texts[lo:hi]), lo):
-                    record = frame(tokens + end)
-                    n[i], offset[i] = len(tokens) // enc.dtype.itemsize + 1, at
-                    at += len(record)
-                    framed.append(record)
+            for lo, hi in row_ranges(utf8(texts)[1]):
+                tokens, ends = with_end(*enc.ids(texts.slice(lo, hi - lo)), end_id)
+                raw, ends, framed = memoryview(tokens.tobytes()), ends * enc.dtype.itemsize, []
+                for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True), lo):
+                    offset[i] = at
+                    framed += frame(raw[a:b])
+                    at += b - a + 16
+                n[lo:hi] = np.diff(ends) // enc.dtype.itemsize
                 out.write(b"".join(framed))
             entry = np.zeros(len(texts), INDEX)
             entry["doc_id"], entry["no_id"] = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)

@@ -2,31 +2,65 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 tokenizers = pytest.importorskip("public_tokenizers")
 
+from tokenizers import Tokenizer as Library  # noqa: E402
+
 from kgeo.llm import bpe, chat, chunks, packing, token_records  # noqa: E402
 from kgeo.llm.storage import fresh_dir  # noqa: E402
 
-ODD = ["", " ", "\n", "a   b", "foo \n\n bar", "x\x1c !\x1c y", "Don't STOP's 12,000 l'été. İstanbul ΑΣ σΣ!", "  lead", "trail \n", "a\r\nb\tc  d", "日本語 テスト。hello世界!!", "<|endoftext|> x", "foo \n bar", "'tis it's, I'LL!'s", "🎉🎉 ok—,x", "½ ² ª µ ß ẞ", "a\xa0\xa0 b\xa0\n\nc", "w" * 5000, "to be or not " * 3000]
+ODD = ["", " ", "\n", "a   b", "foo \n\n bar", "x\x1c !\x1c y", "Don't STOP's 12,000 l'été. İstanbul ΑΣ σΣ!", "  lead", "trail \n", "a\r\nb\tc  d", "日本語 テスト。hello世界!!", "foo \n bar", "'tis it's, I'LL!'s", "🎉🎉 ok—,x", "½ ² ª µ ß ẞ", "a\xa0\xa0 b\xa0\n\nc", "w" * 5000, "to be or not " * 3000, "\nx\n\ny", "\x01 a\x01 b \x01", "ŉ. ſ, ÷. ×,"]
+SPECIAL = ["<|endoftext|> x", "A<|EndOfText|>b<|endoftext|>. c<|startoftext|><|endoftext|>", "<|endoftext|>", " <|endoftext|> <|endoftext|>\n"]
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two different words that hash alike in any polynomial hash modulo 2**64 from 1,024 characters on."""
+    bits = [bin(i).count("1") & 1 for i in range(1 << n)]
+    return "".join("AB"[b] for b in bits), "".join("BA"[b] for b in bits)
 
 
 def texts() -> list[str]:
     rng = random.Random(3)
-    return ODD + ["".join(rng.choice("ab é \n\t .,'s!1\u3000\u0301ßA\x1cZ") for _ in range(rng.randint(0, 25))) for _ in range(800)]
+    parts = ["a", "b", " ", "é", "\n", "\t", ".", ",", "'s", "!", "1", "\u3000", "\u0301", "ß", "A", "\x1c", "Z", "\x01", "\xa0", "&&&", "ē", "\u2009"]
+    return [*ODD, "x {} {} y".format(*thue_morse(11)), *("".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(1500))]
+
+
+def encoded(enc, all_: list, size: int) -> list[list[int]]:
+    """The ids of each text, worked off in ranges of rows."""
+    column, out = pa.array(all_, pa.string()), []
+    for lo, hi in chunks.row_ranges(chunks.utf8(column)[1], size):
+        ids, ends = enc.ids(column.slice(lo, hi - lo))
+        out += [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return out
 
 
 @pytest.mark.parametrize(("name", "keeps"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_stretches_give_the_library_s_ids(name, keeps):
-    enc = chunks.StretchEncoder(tokenizers.path(name), keeps, limit=50)
-    all_ = texts()
-    for lo, hi in chunks.slices(all_, 300):
-        for x, got in zip(all_[lo:hi], enc.encode(all_[lo:hi]), strict=True):
-            assert np.frombuffer(got, enc.dtype).tolist() == enc.library.encode(x, add_special_tokens=False).ids, x
+    from tokenizers import Tokenizer
+
+    library, all_ = Tokenizer.from_file(tokenizers.path(name)), texts() + SPECIAL
+    for limit, size in ((1 << 14, 300), (1 << 20, 1 << 20)):
+        for x, got in zip(all_, encoded(chunks.StretchEncoder(tokenizers.path(name), keeps, limit), all_, size), strict=True):
+            assert got == library.encode(x, add_special_tokens=False).ids, x
+    library.encode_special_tokens = True
+    for x, got in zip(all_, encoded(chunks.StretchEncoder(tokenizers.path(name), keeps, special=False), all_, 1 << 20), strict=True):
+        assert got == library.encode(x, add_special_tokens=False).ids, x
+    assert encoded(chunks.StretchEncoder(tokenizers.path(name), keeps), [None, "", "a", None], 1) == [[], [], library.encode("a", add_special_tokens=False).ids, []]
+
+
+@pytest.mark.parametrize(("name", "keeps"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_a_megabyte_without_a_gap(name, keeps):
+    from tokenizers import Tokenizer
+
+    x = "ab1,;" * 200_000
+    assert encoded(chunks.StretchEncoder(tokenizers.path(name), keeps), [x], 1 << 20) == [Tokenizer.from_file(tokenizers.path(name)).encode(x, add_special_tokens=False).ids]
 
 
 def test_perfect_hash_is_minimal_and_exact():
@@ -41,7 +75,7 @@ def test_bpe_is_tiktoken(spark):
 
     enc = bpe.worker_encoder(tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
     own = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=enc.ranks, special_tokens={})
-    for x in texts():
+    for x in texts() + SPECIAL:
         ids = enc.encode(x)
         assert ids == own.encode_ordinary(x), x
         assert enc.decode(ids).decode() == x
@@ -54,13 +88,24 @@ def test_bpe_is_tiktoken(spark):
     assert bpe.digests(df.limit(0), *path).count() == 0
 
 
+def test_bpe_is_linear_in_a_text_without_gaps():
+    import tiktoken
+
+    enc, x = bpe.worker_encoder(tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN), "ab1,;" * 200_000
+    own = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=enc.ranks, special_tokens={})
+    began = time.process_time()
+    ids = enc.encode(x)
+    assert time.process_time() - began < 30
+    assert ids == own.encode_ordinary(x)
+
+
 def test_records_round_trip(spark):
-    rows = [(5, "Hello world"), (-3, None), (9, "a b c"), (None, "x"), (9, "a b c"), (7, ""), (8, "le mot " * 2000)]
+    rows = [(5, "Hello world"), (-3, None), (9, "a b c"), (None, "x"), (9, "a b c"), (7, ""), (8, "le mot " * 2000), (11, "a<|endoftext|>b"), (12, " ".join(thue_morse(10)))]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' AS start", "1 AS n_tokens")
     out = fresh_dir(spark, "test-records")
     token_records.write_token_records(df, out, tokenizers.path("word_bpe_49k.json"), 2, shards=3)
     got = [tuple(r) for r in token_records.read_token_records(spark, out).orderBy("start").collect()]
-    lib = chunks.encoder(tokenizers.path("word_bpe_49k.json"), False).library
+    lib = Library.from_file(tokenizers.path("word_bpe_49k.json"))
     at, want = 0, []
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = lib.encode(t or "", add_special_tokens=False).ids + [2]
@@ -73,7 +118,7 @@ def test_records_round_trip(spark):
 
 
 def test_a_damaged_record_is_refused():
-    good = token_records.frame(b"abcdef")
+    good = b"".join(token_records.frame(b"abcdef"))
     assert bytes(token_records.unframe(memoryview(good), 0)[0]) == b"abcdef"
     for at in range(len(good)):
         with pytest.raises(ValueError):
@@ -118,10 +163,10 @@ def test_tournament_tree_is_first_fit():
 
 
 def test_packed_documents_hold_all_ids(spark):
-    rows = [(i, "the cat sat. " * (i * 13 % 400)) for i in range(60)] + [(None, "x y"), (3, "again"), (61, None)]
+    rows = [(i, "the cat sat. " * (i * 13 % 400)) for i in range(60)] + [(None, "x y"), (3, "again"), (61, None), (62, "long one " * 5000), (62, "long one " * 5000), (63, "<|endoftext|>x"), (64, "x " + " ".join(thue_morse(10)) + " y")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 AS part", "'s' AS offset")
     got = packing.pack_documents(df, tokenizers.path("byte_bpe_50k.json"), 0, group_docs=16, with_ids=True).collect()
-    lib = chunks.encoder(tokenizers.path("byte_bpe_50k.json"), True).library
+    lib = Library.from_file(tokenizers.path("byte_bpe_50k.json"))
     want = sorted((d is not None, d or 0, i) for d, t in rows for i in lib.encode(t or "", add_special_tokens=False).ids + [0])
     assert sorted((r.doc_id is not None, r.doc_id or 0, i) for r in got for i in r.ids) == want
     by = {}
