@@ -120,6 +120,14 @@ def centroid(prefix: str = "") -> list[Column]:
     return normalize([F.avg(prefix + c) for c in "xyzw"], (1, 0, 0, 0))
 
 
+def centroid_of_numbers(a: Column) -> Column:
+    """Of an array x1, y1, z1, w1, x2, ...: the mean point on the sphere as (x, y, z, w). Empty gives null; a length that four
+    does not divide raises."""
+    mean = lambda k: F.aggregate(F.sequence(F.lit(0), F.floor(F.size(a) / 4).cast("int") - 1), F.lit(0.0), lambda s, i: s + F.get(a, (4 * i + k).cast("int")).cast("double")) / (F.size(a) / 4)
+    made = F.struct(*[c.alias(n) for c, n in zip(normalize([mean(k) for k in range(4)], (1, 0, 0, 0)), "xyzw", strict=True)])
+    return F.when(F.size(a) % 4 != 0, F.raise_error(F.lit("length is not a multiple of 4"))).when(F.size(a) > 0, made)
+
+
 def bounds(prefix: str = "") -> list[Column]:
     return [f(prefix + c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in "xyzw"]
 

@@ -116,3 +116,26 @@ def clean_markup(text: Column) -> Column:
     for pattern_, by in ((r"\{\{[^{}]*\}\}", ""), (r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]", "$1"), (r"'{2,}", ""), (r"<[^>]*>", ""), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         out = F.regexp_replace(out, pattern_, by)
     return F.trim(out)
+
+
+#: First and last codepoint and class, the first that holds counts.
+CODEPOINT_CLASSES = [
+    (0x41, 0x5A, "LatinUppercase"), (0x61, 0x7A, "LatinLowercase"), (0x30, 0x39, "Digits"), (0x20, 0x20, "Whitespace"), (0x09, 0x0A, "Whitespace"), (0x0D, 0x0D, "Whitespace"),
+    (0x20, 0x2F, "PunctuationCommon"), (0x3A, 0x40, "PunctuationCommon"), (0x5B, 0x60, "PunctuationCommon"), (0x7B, 0x7E, "PunctuationCommon"), (0x00, 0x1F, "ControlCharacters"), (0x7F, 0x9F, "ControlCharacters"),
+    (0xC0, 0xD6, "LatinUppercase"), (0xD8, 0xDE, "LatinUppercase"), (0xE0, 0xF6, "LatinLowercase"), (0xF8, 0xFF, "LatinLowercase"), (0x0391, 0x03A9, "GreekUppercase"), (0x03B1, 0x03C9, "GreekLowercase"),
+    (0x0410, 0x042F, "CyrillicUppercase"), (0x0430, 0x044F, "CyrillicLowercase"), (0x4E00, 0x9FFF, "CJKIdeographs"), (0x3040, 0x309F, "Hiragana"), (0x30A0, 0x30FF, "Katakana"), (0xAC00, 0xD7AF, "Hangul"),
+    (0x1F600, 0x1F64F, "EmojiSmileys"), (0x1F300, 0x1F5FF, "EmojiSymbols"), (0x1F900, 0x1F9FF, "EmojiPeople"), (0xD800, 0xDFFF, "Surrogates"), (0xE000, 0xF8FF, "PrivateUse"),
+]
+
+
+def codepoint_class(cp: Column) -> Column:
+    out = F.lit("Unassigned")
+    for low, high, name in reversed(CODEPOINT_CLASSES):
+        out = F.when(cp.between(low, high), name).otherwise(out)
+    return out
+
+
+def class_similarity(a: Column, b: Column) -> Column:
+    """1 for one class, 0.8 for the two cases of Latin, 0.6 for punctuation of both kinds, 0.1 else."""
+    both = lambda names: a.isin(names) & b.isin(names)
+    return F.when(a == b, 1.0).when(both(["LatinUppercase", "LatinLowercase"]), 0.8).when(both(["PunctuationCommon", "PunctuationRare"]), 0.6).otherwise(0.1)

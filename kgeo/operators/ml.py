@@ -1,5 +1,7 @@
 """Model weights and embeddings as relations: nearest-neighbour edges, extractors, a spectral projection to the sphere."""
 
+import tempfile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -90,8 +92,14 @@ def eigenmap(edges: DataFrame, limit: int = 5000) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage: in the checkpoint folder, where one is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.localCheckpoint()
+    """``df`` without its lineage, in the checkpoint folder. Only a local master gets a folder of its own where none is set."""
+    spark = df.sparkSession.sparkContext
+    if not spark._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.getConf().get("spark.checkpoint.dir", None)
+        if not named and not spark.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        spark.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="kgeo-"))
+    return df.checkpoint()
 
 
 def _gram(rows: DataFrame, a: str, b: str) -> np.ndarray:

@@ -221,3 +221,24 @@ def test_exact_limits_start_at_first_use(spark, tmp_path):
     q = feedback.exact_limits(stream, 1, 10).writeStream.format("memory").queryName("limits").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r.event_id, r.allowed) for r in spark.sql("SELECT * FROM limits").collect()} == {(1, True), (2, False), (3, True), (4, True)}
+
+
+def test_lookups_refuse_and_fall_back(spark):
+    import pytest
+
+    from kgeo.functions import geometry as g
+    from kgeo.operators import lookups
+
+    names = spark.createDataFrame([(1, "whale"), (2, "Ahab"), (3, "sea")], "id long, text string")
+    with pytest.raises(ValueError, match="not found: ship"):
+        lookups.touch(names, spark.createDataFrame([("ship",), ("sea",)], "text string"), "now")
+    sequence = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (2, 1, 0), (2, 3, 1)], "relation_id long, composition_id long, ordinal int")
+    rating = spark.createDataFrame([(1, 1500.0, 3), (2, 1700.0, 5)], "relation_id long, rating double, observations long")
+    assert [tuple(r) for r in lookups.walk_seeds(sequence, rating, names, "the Whale, Sea?").collect()] == [(1, 1), (3, 1)]
+    assert [tuple(r) for r in lookups.walk_seeds(sequence, rating, names, "of no use").collect()] == [(1, 0)]
+    assert [tuple(r) for r in lookups.name_answers(sequence, names, "WHALE").collect()] == [("Ahab", 2), ("sea", 1)]
+    assert lookups.first_cell(names.filter("id > 5")) is None
+    numbers = spark.createDataFrame([([],), ([0.0, 2.0, 0.0, 0.0],)], "a array<double>")
+    assert [r[0] and tuple(r[0]) for r in numbers.select(g.centroid_of_numbers(F.col("a"))).collect()] == [None, (0.0, 1.0, 0.0, 0.0)]
+    with pytest.raises(Exception, match="multiple of 4"):
+        spark.createDataFrame([([1.0],)], "a array<double>").select(g.centroid_of_numbers(F.col("a"))).collect()
