@@ -15,15 +15,16 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates two steps until nothing changes: every node links its larger neighbours to its smallest one, then its
     smaller neighbours too. Rounds grow with the logarithm of the longest path. A step is one aggregation (with partial
-    sums) and one join on the node, so a node with very many neighbours is not gathered in a task; each round is written."""
+    sums) and one join on the node (``splittable_join``, so a node with very many neighbours can be dealt out); each round is
+    written."""
     e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     before = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = splittable_join(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        joined = splittable_join(large, least, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         e = materialize(small, "edges")
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)), F.count_distinct("u")).first()
@@ -35,6 +36,13 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def splittable_join(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``other``, which has a key once. Both sides are shuffled for this join, by the key and its hash,
+    even if ``other`` lies by the key already: only then may adaptive execution split a key with very many ``rows``."""
+    twice = lambda df: df.withColumn("_key_hash", F.xxhash64(key))
+    return twice(rows).join(twice(other), [key, "_key_hash"]).drop("_key_hash")
+
+
 def pair_blocks(rows: DataFrame, key: str, item: str, weight: str | None = None, size: int = 1024) -> DataFrame:
     """Rows of keys with two items or more, dealt so that any two items of a key meet: adds block_a, block_b and own.
 

@@ -2,7 +2,8 @@
 
 Two small collections of hashes are computed per document, each hash made of a few minhashes. A table's key is a pair of one
 hash from each collection, so ``m`` hashes on either side serve m * m tables, with the minhashes of 2 * m. Documents that meet
-in a table are linked into candidate groups, and in each group the full shingle sets decide, exactly."""
+in a table are linked into candidate groups, and in each group the full shingle sets decide, word by word: hashes only
+choose what is compared. Texts of equal words are one row throughout."""
 
 import hashlib
 import math
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kgeo.llm.chunks import slices
 from kgeo.llm.graph import by_group, connected_components, pair_blocks
-from kgeo.llm.shingles import mix, shingle_sets
+from kgeo.llm.shingles import mix, normal, shingle_sets
 from kgeo.llm.storage import materialize
 
 
@@ -80,25 +81,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, minhashe
 
     Links: 100 * intersection >= percent * union of the sets of ``words``-word shingles of whole texts (A-Z lowered, words
     parted by ASCII white space; fewer words: the whole sequence is the one shingle). component_id is the smallest doc_id
-    reachable by links. A pair at the threshold goes unmet with probability ``miss`` at most; links found are exact.
+    reachable by links. A pair at the threshold goes unmet with probability ``miss`` at most; links found are exact, by the
+    words themselves. n_shingles is exact too. A text of any length is handled whole, by a worker that holds it.
     Null, empty and wordless texts have 0 shingles, no links and themselves as component. A null doc_id links with nothing:
     null component, kept. Rows that repeat a doc_id have one component together. Other columns are ignored."""
     m = collection_size(percent / 100, minhashes, miss)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(x or "").encode() for x in batch.column(2).to_pylist()]
+            texts = [normal((x or "").encode()) for x in batch.column(2).to_pylist()]
             for lo, hi in slices(texts):
-                sets, sizes = shingle_sets(texts[lo:hi], words)
-                keys = collections(sets, sizes, m, minhashes, seed)
-                ends = np.cumsum(sizes)
-                digest = [hashlib.blake2b(sets[e - n : e], digest_size=16).digest() if n else None for e, n in zip(ends, sizes, strict=True)]
+                _, sizes, hashes = shingle_sets(texts[lo:hi], words)
+                keys = collections(hashes, sizes, m, minhashes, seed)
+                digest = [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in texts[lo:hi]]
                 held = [pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * m), pa.array(np.ascontiguousarray(k).ravel())) for k in (keys[:, :m], keys[:, m:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sizes), pa.array(digest, pa.binary()), *held], names=["doc_id", "text_hash", "n_shingles", "digest", "left", "right"])
 
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     rows = materialize(whole.mapInArrow(sketch, "doc_id long, text_hash long, n_shingles long, digest binary, left array<long>, right array<long>"), "sketches")
-    reps = materialize(rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("_one"), F.first("n_shingles").alias("n_shingles"), F.first("left").alias("left"), F.first("right").alias("right")).select("digest", F.xxhash64("digest").alias("rep"), F.col("_one.doc_id").alias("doc_id"), F.col("_one.text_hash").alias("text_hash"), "n_shingles", "left", "right"), "distinct-sets")  # rep names the set: an id may have several
+    reps = materialize(rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("_one"), F.first("n_shingles").alias("n_shingles"), F.first("left").alias("left"), F.first("right").alias("right")).select("digest", F.xxhash64("digest").alias("rep"), F.col("_one.doc_id").alias("doc_id"), F.col("_one.text_hash").alias("text_hash"), "n_shingles", "left", "right"), "distinct-texts")  # rep names the words: an id may have several texts
 
     # A table can only bring documents together that share both hashes of its key with another: others need no keys.
     single = reps.select("rep", F.posexplode(F.concat("left", "right")).alias("place", "hash"))
@@ -113,8 +114,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, minhashe
         edges: list[tuple[int, int]] = []
         for g in tables:
             ids, where = np.unique(g["rep"].to_numpy(), return_index=True)
-            texts = [g["text"][int(i)].as_py().encode() for i in where]
-            sets, sizes = shingle_sets(texts, words)
+            sets, sizes, _ = shingle_sets([normal(g["text"][int(i)].as_py().encode()) for i in where], words)
             edges += [(int(ids[a]), int(ids[b])) for a, b in linked(np.split(sets, np.cumsum(sizes)[:-1]), percent)]
             if len(edges) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges, strict=True)], names=["a", "b"])

@@ -1,17 +1,11 @@
-"""Sets of word shingles of whole texts, as sorted 64-bit hashes, for many texts at once."""
+"""Sets of word shingles of whole texts, for many texts at once: exact codes to compare texts by, and hashes for sketches."""
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
-#: Bytes that part words: space, tab, line feed, vertical tab, form feed, carriage return.
-_GAP = np.zeros(256, bool)
-_GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
 _PLACE = _RNG.integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_UNBASE = pow(_BASE, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,64 +15,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = 1 << (n - 1).bit_length()
-            cls.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _BASE, np.uint64)]), dtype=np.uint64)
-            cls.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _UNBASE, np.uint64)]), dtype=np.uint64)
-        return cls.up, cls.down
-
-
-def lowered(data: np.ndarray) -> np.ndarray:
-    return _LOWER[data]
-
-
-def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of stretches of bytes, by differences of one running polynomial sum."""
-    up, down = _Powers.of(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
-    return mix((sums[ends] - sums[starts]) * down[starts])
-
-
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where words begin and end in bytes that end with a gap."""
-    gap = np.concatenate([[True], _GAP[data]])
-    edge = np.flatnonzero(gap[1:] != gap[:-1])
-    return edge[::2], edge[1::2]
-
-
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of ``texts`` (A-Z lowered), and each text's number of words."""
-    data = lowered(np.frombuffer(b" ".join([*texts, b""]), np.uint8))
-    starts, ends = word_spans(data)
-    limits = np.cumsum([0, *(len(x) + 1 for x in texts)])
-    return run_hashes(data, starts, ends), np.diff(np.searchsorted(starts, limits))
-
-
-def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' sets one after the other, each sorted, and the sets' sizes.
-
-    A text with 1 to k - 1 words has its whole sequence as its one shingle; one without words has the empty set."""
-    hashed, n = words(texts)
-    first = np.concatenate([[0], np.cumsum(n)])
-    span = len(hashed) - k + 1
-    if span > 0:
-        every = np.zeros(span, np.uint64)
-        for i in range(k):
-            every += hashed[i : i + span] * _PLACE[i]
-        every = mix(every)
-    sets = []
+def normal(text: bytes) -> bytes:
+    """The words of ``text``, A-Z lowered, with one space between them. Words are parted by space, tab, line feed, vertical
+    tab, form feed and carriage return."""
+    return b" ".join(text.lower().split())
+
+
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of normalised texts: all words' codes (equal for equal words alone), the codes' 64-bit hashes, each text's words."""
+    raw = b"".join([x + b" " for x in texts if x])
+    data = np.frombuffer(raw, np.uint8)
+    ends = np.concatenate([[0], np.flatnonzero(data == 32) + 1])
+    kinds = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
+    hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in kinds.dictionary.to_pylist()], np.uint64)
+    return kinds.indices.to_numpy().astype(np.int64), hashes, np.array([x.count(b" ") + 1 if x else 0 for x in texts], np.int64)
+
+
+def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of normalised texts: all their sets one after the other as codes, the sets' sizes, and the 64-bit hash of each code.
+
+    Codes are equal for equal shingles alone, and only among the texts of one call; the hashes hold everywhere. A text with 1
+    to k - 1 words has its whole sequence as its one shingle; one without words has the empty set."""
+    word, hashes, n = words(texts)
+    first, base = np.concatenate([[0], np.cumsum(n)]), max(len(hashes), 1)
+    code, most = word.copy(), base
+    for i in range(1, k):
+        if most * base >= 1 << 62:
+            kinds, code = np.unique(code, return_inverse=True)
+            most = len(kinds)
+        code = code[: len(word) - i] * base + word[i:] if len(word) > i else code[:0]
+        most *= base
+    own = hashes[word] if len(word) else np.zeros(0, np.uint64)
+    every = np.zeros(len(code), np.uint64)
+    for i in range(k):
+        every += own[i : i + len(code)] * _PLACE[i]
+    every = mix(every)
+    sets, held, whole = [], [], {}
     for d, count in enumerate(n.tolist()):
         lo = first[d]
         if count >= k:
-            s = np.sort(every[lo : lo + count - k + 1])
-            sets.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
-        elif count:
-            sets.append(mix((hashed[lo : lo + count] * _PLACE[:count]).sum(keepdims=True, dtype=np.uint64) + _PLACE[63 - count]))
-        else:
-            sets.append(hashed[:0])
-    return np.concatenate([*sets, np.zeros(0, np.uint64)]), np.array([*map(len, sets)], np.int64)
+            own_codes, at = np.unique(code[lo : lo + count - k + 1], return_index=True)
+            sets.append(own_codes)
+            held.append(every[lo + at])
+        elif count:  # codes below 0 name whole sequences
+            sets.append(np.array([-1 - whole.setdefault(tuple(word[lo : lo + count].tolist()), len(whole))]))
+            held.append(mix((own[lo : lo + count] * _PLACE[:count]).sum(keepdims=True, dtype=np.uint64) + _PLACE[63 - count]))
+    sizes = np.where(n >= k, 0, np.minimum(n, 1))
+    sizes[n > 0] = [*map(len, sets)]
+    return np.concatenate([*sets, np.zeros(0, np.int64)]), sizes, np.concatenate([*held, np.zeros(0, np.uint64)])
