@@ -41,15 +41,30 @@ def corpus():
 
 
 def test_shingle_sets_are_exact():
-    texts = [(t or "").encode() for _, t in corpus()] + [b"a\x0bb\x0cc", " é É".encode()]
-    for k in (1, 3, 5):
-        sets, sizes = shingles.shingle_sets(texts, k)
+    texts = [(t or "").encode() for _, t in corpus()] + [b"a\x0bb\x0cc", " é É".encode(), *(f"x {w} y z u".encode() for w in alike(11))]
+    for k in (1, 3, 5, 40):
+        sets, sizes, hashes = shingles.shingle_sets([*map(shingles.normal, texts)], k)
         want = [word_sets(t.decode(), k) for t in texts]
         assert sizes.tolist() == [len(x) for x in want]
-        parts = np.split(sets, np.cumsum(sizes)[:-1])
+        parts, hashed = (np.split(x, np.cumsum(sizes)[:-1]) for x in (sets, hashes))
         for i in range(0, len(texts), 7):
+            alone = shingles.shingle_sets([shingles.normal(texts[i])], k)[2]
+            assert np.isin(alone, hashed[i]).all() and len(alone) == len(hashed[i])
             for j in range(len(texts)):
-                assert len(np.intersect1d(parts[i], parts[j])) == len(want[i] & want[j])
+                assert len(np.intersect1d(parts[i], parts[j])) == len(np.intersect1d(hashed[i], hashed[j])) == len(want[i] & want[j])
+
+
+def alike(n):
+    """Two different words that any polynomial hash modulo 2**64 takes for one, from 1,024 letters on."""
+    bits = [bin(i).count("1") & 1 for i in range(1 << n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_hash_alike_link_nothing(spark):
+    x, y = alike(11)
+    rows = [(1, f"one {x} two"), (2, f"one {y} two"), (3, x), (4, y), (5, f"ONE\n{x}\ttwo "), (6, " ".join(f"w{i} {x}" for i in range(50))), (7, " ".join(f"w{i} {y}" for i in range(50)))]
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == {1: (1, 1), 2: (2, 1), 3: (3, 1), 4: (4, 1), 5: (1, 1), 6: (6, 98), 7: (7, 98)}
 
 
 def test_minhash_links_what_brute_force_links(spark):
@@ -102,6 +117,19 @@ def test_edit_distance():
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 14))) for _ in "ab")
         assert line_dedup.edit_distance(a, b, 99) == table(a, b)
         assert (line_dedup.edit_distance(a, b, 2) <= 2) == (table(a, b) <= 2)
+        found = line_dedup.few_edits(a, b, 3)
+        assert found == (table(a, b) if table(a, b) <= 3 else None)
+    for _ in range(60):
+        a = "".join(rng.choice("abcd ") for _ in range(rng.randint(70, 160)))
+        b = list(a)
+        for _ in range(rng.randint(0, 25)):
+            i = rng.randrange(len(b))
+            b[i : i + 1] = rng.choice(("x", "", "ab"))
+        b = "".join(b)
+        assert line_dedup.edit_distance(a, b, 999) == table(a, b)
+        assert (line_dedup.edit_distance(a, b, 10) <= 10) == (table(a, b) <= 10)
+        for percent in (80, 90):
+            assert line_dedup.similar(a, b, percent) == (table(a, b) <= (100 - percent) * max(len(a), len(b)) // 100)
 
 
 def brute_lines(rows, percent=90):
@@ -111,8 +139,7 @@ def brute_lines(rows, percent=90):
             if n := line_dedup.normalise(x):
                 occ.setdefault(n, []).append((-(1 << 63) if d is None else d, k))
     names = [*occ]
-    h = line_dedup.simhashes(names)
-    near = line_dedup.near(h) if len(names) else np.zeros((0, 0), bool)
+    near = line_dedup.near(np.array([*map(len, names)]), line_dedup.simhashes(names)) if names else np.zeros((0, 0), bool)
     links = [(a, b) for a in range(len(names)) for b in range(a) if near[a, b] and line_dedup.similar(names[a], names[b], percent)]
     group = components(range(len(names)), links)
     first = {}
