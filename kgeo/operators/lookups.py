@@ -92,8 +92,10 @@ def touch(names: DataFrame, wanted: DataFrame, at) -> DataFrame:
 
 
 def composition_details(atoms_of: DataFrame, places: DataFrame, atom: DataFrame) -> DataFrame:
-    """A row per run of a composition: its text, where the composition and the atom lie. ``atoms_of``: id, ordinal, codepoint, occurrences."""
-    own = places.select("id", *[F.col(c).alias(f"centroid_{c}") for c in "xyzw"])
+    """A row per run of a composition: its text, where the composition and the atom lie. ``atoms_of``: id, ordinal, codepoint, occurrences.
+
+    The places are sorted and merged: Catalyst takes exploded runs for as small as the texts, and would broadcast them."""
+    own = places.select("id", *[F.col(c).alias(f"centroid_{c}") for c in "xyzw"]).hint("merge")
     return atoms_of.join(own, "id").join(atom.select("codepoint", *[F.col(c).alias(f"atom_{c}") for c in "xyzw"]), "codepoint").withColumn("text", F.repeat(text.char(F.col("codepoint")), F.col("occurrences")))
 
 
