@@ -13,6 +13,8 @@ from kgeo.llm.storage import width
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [x.split()[0] for x in PIECES.split(", ")]
+#: Bytes of text that a worker encodes at once; its tables take some twenty times that.
+RANGE = 1 << 21
 
 
 class CapacityTree:
@@ -98,7 +100,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, room: int = 102
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, keeps_space)
         for batch in batches:
-            for lo, hi in row_ranges(utf8(batch.column(2))[1]):
+            for lo, hi in row_ranges(utf8(batch.column(2))[1], RANGE):
                 ids, ends = with_end(*enc.ids(batch.column(2).slice(lo, hi - lo)), end_id)
                 n, wide = np.diff(ends), ids.astype("<u4")
                 pieces = -(-n // room)
@@ -149,4 +151,5 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of the table."""
     import public_tokenizers
 
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # long texts need little memory beside the JVM's heap
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)

@@ -182,6 +182,18 @@ def test_packed_documents_hold_all_ids(spark):
     assert packing.pack_documents(df.limit(0), tokenizers.path("byte_bpe_50k.json"), 0).count() == 0
 
 
+def test_packing_takes_texts_a_little_at_a_time(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        packing.op7_packing(spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    ends = np.arange(0, 40 << 20, 4000)
+    assert max(ends[hi] - ends[lo] for lo, hi in chunks.row_ranges(ends, packing.RANGE)) <= 1 << 21
+
+
 def test_escaping_is_reversible():
     f, rng = chat.Formatter(chat.Template()), random.Random(4)
     parts = f.t.controls() + ["\\", "a", "<", "[", "\n", "é"]
