@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from kgeo.llm.chunks import slices
 from kgeo.llm.graph import by_group, connected_components, pair_blocks
 from kgeo.llm.shingles import mix, normal, shingle_sets
-from kgeo.llm.storage import materialize
+from kgeo.llm.storage import lean, materialize
 
 
 def collection_size(similarity: float, minhashes: int, miss: float) -> int:
@@ -98,7 +98,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, minhashe
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sizes), pa.array(digest, pa.binary()), *held], names=["doc_id", "text_hash", "n_shingles", "digest", "left", "right"])
 
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(whole.mapInArrow(sketch, "doc_id long, text_hash long, n_shingles long, digest binary, left array<long>, right array<long>"), "sketches")
+    rows = materialize(whole.mapInArrow(lean(sketch), "doc_id long, text_hash long, n_shingles long, digest binary, left array<long>, right array<long>"), "sketches")
     reps = materialize(rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("_one"), F.first("n_shingles").alias("n_shingles"), F.first("left").alias("left"), F.first("right").alias("right")).select("digest", F.xxhash64("digest").alias("rep"), F.col("_one.doc_id").alias("doc_id"), F.col("_one.text_hash").alias("text_hash"), "n_shingles", "left", "right"), "distinct-texts")  # rep names the words: an id may have several texts
 
     # A table can only bring documents together that share both hashes of its key with another: others need no keys.

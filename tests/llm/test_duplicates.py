@@ -224,3 +224,25 @@ def test_one_id_with_two_texts(spark):
     for data in (rows, rows[::-1]):
         got = minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 3, 85).collect()
         assert {(r.doc_id, r.component_id) for r in got} == {(3, 3), (5, 3), (7, 3), (8, 3), (9, 3), (20, 20)}
+
+
+def test_a_worker_hands_back_what_it_no_longer_needs():
+    import re
+
+    from kgeo.llm.storage import lean
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"Private_Dirty:\s+(\d+)", f.read())[1]) / 1024
+
+    def run(batches):
+        for _ in batches:
+            parts = [bytearray(1000) for _ in range(200_000)]
+            last.append(bytearray(1000))  # on top of the heap, so that nothing below it goes back by itself
+            del parts
+            yield None
+
+    last = []
+    before = held()
+    list(lean(run)([None]))
+    assert held() - before < 60
